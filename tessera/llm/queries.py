@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import tokenizer
+from tessera.llm import canonical, packing, tokenizer
 from tessera.sources.tables import scan
 
 
@@ -13,5 +14,23 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(scan(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container and the place in it of every text, or piece of a text longer than a container."""
+    return packing.pack_texts(scan(spark, sf_dir, "documents"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of the reference list that each typed value means, 0 for none."""
+    return canonical.resolve(scan(spark, sf_dir, "gold"), scan(spark, sf_dir, "canonical_values"))
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of values without an entry, and how many records hold each."""
+    gold = scan(spark, sf_dir, "gold")
+    found = canonical.resolve(gold, scan(spark, sf_dir, "canonical_values")).where("canonical_id = 0")
+    rows = canonical.typed_values(gold).join(found, ["record_id", "field", "pos"])
+    return rows.groupBy("field", "value").agg(F.countDistinct("record_id").alias("n_records"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLES: dict[str, str] = {}
