@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, packing, tokenizer
+from tessera.llm import canonical, consensus, packing, tokenizer
 from tessera.sources.tables import scan
 
 
@@ -32,5 +32,28 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("field", "value").agg(F.countDistinct("record_id").alias("n_records"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus label of every paper with a successful run and every closed attribute."""
+    return consensus.consensus(scan(spark, sf_dir, "results"), scan(spark, sf_dir, "attr_schema")).select("paper_id", "attribute", "label")
+
+
+def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of claims and the share that agrees."""
+    return consensus.consensus(scan(spark, sf_dir, "results"), scan(spark, sf_dir, "attr_schema"))
+
+
+def p1_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error, its upper bound and the weight of each model for each attribute."""
+    return consensus.reliability(scan(spark, sf_dir, "results"), scan(spark, sf_dir, "attr_schema"))
+
+
+def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Krippendorff's alpha of each attribute."""
+    return consensus.agreement(scan(spark, sf_dir, "results"), scan(spark, sf_dir, "attr_schema"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_consensus": p1_consensus, "p1_reliability": p1_reliability, "p1_agreement": p1_agreement,
+    "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p7_containers": p7_containers,
+}
 ORACLES: dict[str, str] = {}
