@@ -167,6 +167,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id",
         shards = max(1, round(n / shard))
 
         spread = left.withColumn("_shard", F.pmod(F.xxhash64(F.lit(turn), id_column, "piece"), F.lit(shards)))
+        spread = spread.repartition(min(shards, 10_000), "_shard")  # a fixed number: rows are few, the work is not
         placed = written(spread.groupBy("_shard").applyInPandas(_shard_packer(turn, capacity, id_column), schema))
         last = shards == 1 or turn == rounds - 1
         closed = placed if last else placed.where(F.col("fill") >= CLOSED * capacity)
