@@ -22,7 +22,7 @@ TITLES = frozenset("dr prof professor mr mrs ms miss sir phd msc bsc md jr sr ii
 DEPARTMENTS = frozenset("department dept school faculty division section group chair departement faculte".split())
 #: Words that tell what kind of organisation a name is of, and the kind they tell.
 KINDS = {
-    "university": "university", "univ": "university", "universite": "university", "universitat": "university", "universidad": "university",
+    "u": "university", "university": "university", "univ": "university", "universite": "university", "universitat": "university", "universidad": "university",
     "institute": "institute", "inst": "institute", "institut": "institute", "technology": "", "technologies": "company", "tech": "", "language": "", "lang": "", "langtech": "company", "inc": "company", "ltd": "company", "gmbh": "company", "corp": "company", "corporation": "company",
     "library": "library", "bibliotheque": "library", "national": "", "nationale": "", "natl": "", "nat": "", "lib": "library",
     "laboratory": "labs", "laboratories": "labs", "labs": "labs", "lab": "labs", "research": "", "laboratoire": "labs",
@@ -166,7 +166,7 @@ def _kind_of(word: str) -> str | None:
 
 def organisation(text: str) -> tuple[str, str]:
     """``(kind, skeleton of the own name)``; departments, places after the name and marks are left out."""
-    t = plain(text).lower()
+    t = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", plain(text)).lower()
     t = re.sub(r"\^\S+|[*†‡§]+", " ", t)
     # a short form in brackets goes, a name in brackets stays
     t = re.sub(r"\(([a-z]{1,5}|\d+)\)", " ", t).replace("(", ",").replace(")", " ")
