@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, consensus, packing, tokenizer
+from tessera.llm import canonical, consensus, packing, residue, tokenizer
 from tessera.sources.tables import scan
 
 
@@ -52,8 +52,19 @@ def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.agreement(scan(spark, sf_dir, "results"), scan(spark, sf_dir, "attr_schema"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are or hold template residue, filler, error pages or notices."""
+    return residue.found(scan(spark, sf_dir, "documents"))
+
+
+def p8_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without those."""
+    return residue.corpus(scan(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_consensus": p1_consensus, "p1_reliability": p1_reliability, "p1_agreement": p1_agreement,
     "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p7_containers": p7_containers,
+    "p8_found": p8_found, "p8_corpus": p8_corpus,
 }
 ORACLES: dict[str, str] = {}
