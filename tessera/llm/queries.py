@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, consensus, packing, residue, tokenizer
+from tessera.llm import canonical, consensus, packing, residue, tokenizer, variants
 from tessera.sources.tables import scan
 
 
@@ -52,6 +52,16 @@ def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.agreement(scan(spark, sf_dir, "results"), scan(spark, sf_dir, "attr_schema"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two spellings of the same person or organisation."""
+    return variants.links(scan(spark, sf_dir, "gold"))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that each typed string names."""
+    return variants.memberships(scan(spark, sf_dir, "gold")).distinct()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are or hold template residue, filler, error pages or notices."""
     return residue.found(scan(spark, sf_dir, "documents"))
@@ -64,7 +74,8 @@ def p8_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_consensus": p1_consensus, "p1_reliability": p1_reliability, "p1_agreement": p1_agreement,
-    "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p7_containers": p7_containers,
+    "p4_found": p4_found, "p4_unmatched": p4_unmatched,
+    "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p7_containers": p7_containers,
     "p8_found": p8_found, "p8_corpus": p8_corpus,
 }
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,11 @@
+"""Problem 5: the query exists and links the spellings of one name."""
+
+
+def test_query(spark, tmp_path):
+    import __spark_entry__
+
+    schema = "paper_id string, metadata struct<Authors: array<string>, Affiliations: array<string>, Provider: array<string>>"
+    rows = [("p1", (["Maria Velasquez", None, " "], ["University of Tolbar"], [])), ("p2", (["Velasquez, Maria", "Yusuf Korander"], ["Univ. of Tolbar"], None))]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "gold.parquet"))
+    found = {tuple(r) for r in __spark_entry__.queries()["p5_found"](spark, str(tmp_path)).collect()}
+    assert found == {("person", "Maria Velasquez", "Velasquez, Maria"), ("organisation", "Univ. of Tolbar", "University of Tolbar")}
