@@ -14,7 +14,9 @@ Defined results of the edge cases: a null, blank or broken body gives no rows;
 so do missing, null and key-less objects; null elements and blank strings give
 no row but keep their number; a lone value counts as a list of one, an object
 of objects as the list of its values; a string that holds JSON counts as what it
-holds; unknown fields stay in the payload only; an empty table gives an empty
+holds; unknown fields stay in the column ``payload`` of the typed table; a number written
+as a string is that number, and one that cannot be read is null but stays in ``payload``;
+an empty table gives an empty
 table. Bodies nested deeper than the parser allows count as broken.
 """
 
@@ -24,8 +26,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 EMITTED = "file_id long, run_pos int, entity string, parent_pos int, pos int, payload string"
 KEY = ["file_id", "run_pos", "entity", "parent_pos", "pos"]
@@ -40,7 +43,8 @@ ELEMENT_KEYS = frozenset(("Name", "Volume", "Unit", "Dialect", "Language", "Subs
 #: The schema of each tag's payload.
 SCHEMAS = {
     "run": "length_forcing double, ratio_filling double, error string",
-    "metadata": "Name string, Link string, `HF Link` string, License string, Year string, Language string, Dialect string, Form string, Description string, Volume string, Unit string, `Ethical Risks` string, `Paper Title` string, `Paper Link` string, Script string, Tokenized string, Host string, Access string, Cost string, `Test Split` string, `Venue Title` string, `Venue Type` string, `Venue Name` string, Abstract string",
+    "metadata": "Name string, Link string, `HF Link` string, License string, Year string, Language string, Dialect string, Form string, Description string, Volume string, Unit string, `Ethical Risks` string, `Paper Title` string, `Paper Link` string, Script string, Tokenized string, Host string, Access string, Cost string, `Test Split` string, `Venue Title` string, `Venue Type` string, `Venue Name` string, Abstract string, "
+    "Languages array<string>, Domain array<string>, `Collection Style` array<string>, Provider array<string>, `Derived From` array<string>, Tasks array<string>",
     "validation": "CONTENT double, ACCESSABILITY double, DIVERSITY double, EVALUATION double, AVERAGE double",
     "cost": "cost double, input_tokens long, output_tokens long",
     "config": "model_name string, few_shot int, month int, year string, link string",
@@ -178,7 +182,24 @@ def typed(rows: DataFrame, tag: str) -> DataFrame:
     """The table of ``tag`` from emitted rows (or from a written emission, which prunes to one partition)."""
     one = rows.where(F.col("entity") == tag).groupBy(KEY).agg(F.min("payload").alias("payload"))
     keys = ["file_id", "run_pos", "parent_pos", "pos"]
-    return one.select(*keys, F.from_json("payload", SCHEMAS[tag]).alias("_p")).select(*keys, "_p.*")
+    fields = StructType.fromDDL(SCHEMAS[tag]).fields
+    texts = StructType([StructField(f.name, StringType()) for f in fields])
+    read = one.select(*keys, F.from_json("payload", texts).alias("_p"), "payload")
+    return read.select(*keys, *(_cast(F.col(f"_p.`{f.name}`"), f.dataType.simpleString()).alias(f.name) for f in fields), "payload")
+
+
+def _cast(text: Column, to: str) -> Column:
+    """``text`` as ``to``, null where it cannot be; a lone value is a list of one."""
+    if to == "string":
+        return text
+    if to == "array<string>":
+        many = F.when(F.ltrim(text).startswith("["), F.from_json(text, to))
+        return F.coalesce(many, F.when(F.trim(text) != "", F.array(text)))
+    number = F.trim(text).try_cast("double")
+    if to == "double":
+        return number
+    # whole numbers are read exactly, "3.0" and "3e2" by way of a double
+    return F.coalesce(F.trim(text).try_cast(to), F.when(number == F.floor(number), number.try_cast(to)))
 
 
 def write_tables(df: DataFrame, path: str, id_column: str = "file_id", body_column: str = "body") -> None:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import drift, nested
+from tessera.plans.registry import Query
+from tessera.session import written
 from tessera.sources.tables import scan
 
 
@@ -36,7 +38,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run table with the model, score and cost of its children, joined by their keys."""
-    rows = nested.emit(scan(spark, sf_dir, "raw_results"))
+    rows = written(nested.emit(scan(spark, sf_dir, "raw_results")), "entity")
     child = lambda tag, *cols: nested.typed(rows, tag).select("file_id", "run_pos", *cols)
     return (
         nested.typed(rows, "run").select("file_id", "run_pos", "length_forcing", "ratio_filling", "error")
@@ -51,5 +53,16 @@ def p3_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.typed(nested.emit(scan(spark, sf_dir, "raw_results")), "subset")
 
 
-QUERIES = {"p2_found": p2_found, "p2_unified": p2_unified, "p2_report": p2_report, "p3_found": p3_found, "p3_runs": p3_runs, "p3_subsets": p3_subsets}
+def _table(tag: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return nested.typed(nested.emit(scan(spark, sf_dir, "raw_results")), tag)
+
+    query.__doc__ = f"The {tag} table with its typed columns."
+    return query
+
+
+#: The other flat tables, one for each tag.
+TABLES = {f"p3_{tag}": _table(tag) for tag in ("metadata", "validation", "cost", "config", "author", "affiliation", "keyword")}
+
+QUERIES = {"p2_found": p2_found, "p2_unified": p2_unified, "p2_report": p2_report, "p3_found": p3_found, "p3_runs": p3_runs, "p3_subsets": p3_subsets, **TABLES}
 ORACLES: dict[str, str] = {}
