@@ -8,11 +8,10 @@ rematching follow:
 
 * every form enters the blocks of its skeleton with up to two letters left out, and
   the blocks of the papers it stands on;
-* in each block it is compared with the block's richest record alone (a star, never
-  all pairs of the block), by the built-in ``levenshtein``;
-* matched records merge: the union of their forms, papers and counts is the new
-  record, which enters all of those blocks, and may be the richest where its parts
-  were not;
+* in each block it is compared with every other form of the block, once, by the
+  built-in ``levenshtein``; so a block with many forms costs their number squared;
+* matched records merge, the poorer into the nearest richer: the union of their forms,
+  papers and counts is the new record, whose weight counts in the next round;
 * rounds go on until none merges.
 
 Names with initials only match every full name with that surname and initial. Where
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 from tessera.llm import names
 from tessera.session import cut_lineage
 
-LEXICON, LONGEST, ROUNDS = 500, 24, 8
+LEXICON, LONGEST = 500, 24
 PARSED = "kind string, name string, n long, grp string, initial string, sk string"
 
 
@@ -110,11 +109,21 @@ def _letters(c: Column) -> Column:
     return F.array_sort(F.split(c, ""))
 
 
+def _slip(a: Column, b: Column) -> Column:
+    d, short = F.levenshtein(a, b), F.least(F.length(a), F.length(b))
+    room = F.when(short >= 8, 2).when(short >= 5, 1).otherwise(0)
+    return (d <= room) | ((d <= room + 2) & (short >= 7) & (_letters(a) == _letters(b)))
+
+
+def _close(a: Column, b: Column, on_paper: Column) -> Column:
+    """Whether :func:`_same` can hold at any weights."""
+    return _slip(a, b) | on_paper & (F.levenshtein(a, b) <= F.floor(F.least(F.length(a), F.length(b)) * 0.34))
+
+
 def _same(a: Column, b: Column, on_paper: Column, weight: Column, hub_weight: Column) -> Column:
     """Whether two skeletons of one group are spellings of one name."""
     d, short = F.levenshtein(a, b), F.least(F.length(a), F.length(b))
-    room = F.when(short >= 8, 2).when(short >= 5, 1).otherwise(0)
-    slip = (d <= room) | ((d <= room + 2) & (short >= 7) & (_letters(a) == _letters(b)))
+    slip = _slip(a, b)
     rare = (weight <= 2) | (weight * 5 <= hub_weight) | (d <= 1) & (weight * 3 <= hub_weight)
     return F.when(on_paper, slip | (d <= F.floor(short * 0.34))).otherwise(slip & rare)
 
@@ -130,7 +139,7 @@ def _components(parents: DataFrame) -> DataFrame:
             return state
 
 
-def resolve_full(forms: DataFrame, form_papers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def resolve_full(forms: DataFrame, form_papers: DataFrame) -> DataFrame:
     """``(f, c)``: the record of every form with a group, merged and rematched until nothing changes."""
     near = forms.select("f", "sk", F.lit(False).alias("on_paper"), F.explode(F.transform(block_keys(F.col("sk")), lambda k: F.xxhash64("kind", "grp", k))).alias("key"))
     paper = form_papers.join(forms, "f").select("f", "sk", F.lit(True).alias("on_paper"), F.xxhash64("kind", "grp", F.lit("paper"), "paper_id").alias("key"))
@@ -139,14 +148,17 @@ def resolve_full(forms: DataFrame, form_papers: DataFrame, rounds: int = ROUNDS)
     shared = both.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     blocks = cut_lineage(both.join(shared, "key"))
     members = cut_lineage(forms.select("f", "n", F.col("f").alias("c")))
-    for _ in range(rounds):
+    # every two forms of a block that are near enough to be one name at some weight; which merge is told by the weights of each round
+    a, b = blocks.select("key", "on_paper", F.col("f").alias("fa"), F.col("sk").alias("ska")), blocks.select("key", F.col("f").alias("fb"), F.col("sk").alias("skb"))
+    near = a.join(b, "key").where(F.col("fa") < F.col("fb")).where(_close(F.col("ska"), F.col("skb"), F.col("on_paper")))
+    edges = cut_lineage(near.groupBy("fa", "fb", "ska", "skb").agg(F.max("on_paper").alias("on_paper")))
+    while True:
         weights = members.groupBy("c").agg(F.sum("n").alias("w"))
         held = cut_lineage(members.join(weights, "c").select("f", "c", "w"))
-        placed = blocks.join(held, "f")
-        hub = placed.groupBy("key").agg(F.max(F.struct("w", "c", "sk")).alias("h"))
-        pairs = placed.join(hub, "key").where((F.col("c") != F.col("h.c")) & (F.struct("w", "c") < F.struct("h.w", "h.c")))
-        good = pairs.where(_same(F.col("sk"), F.col("h.sk"), F.col("on_paper"), F.col("w"), F.col("h.w")))
-        parents = good.groupBy("c").agg(F.min(F.struct(F.levenshtein("sk", "h.sk").alias("d"), (-F.col("h.w")).alias("v"), F.col("h.c").alias("parent"))).alias("p")).select("c", "p.parent")
+        side = lambda x: held.select(F.col("f").alias("f" + x), F.struct("w", "c").alias("r" + x))
+        pairs = edges.join(side("a"), "fa").join(side("b"), "fb").where("ra.c != rb.c").select("ska", "skb", "on_paper", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("h"))
+        good = pairs.where(_same(F.col("ska"), F.col("skb"), F.col("on_paper"), F.col("low.w"), F.col("h.w")))
+        parents = good.groupBy(F.col("low.c").alias("c")).agg(F.min(F.struct(F.levenshtein("ska", "skb").alias("d"), (-F.col("h.w")).alias("v"), F.col("h.c").alias("parent"))).alias("p")).select("c", "p.parent")
         parents = cut_lineage(parents)
         if not parents.limit(1).count():
             break

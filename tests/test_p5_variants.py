@@ -9,3 +9,13 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "gold.parquet"))
     found = {tuple(r) for r in __spark_entry__.queries()["p5_found"](spark, str(tmp_path)).collect()}
     assert found == {("person", "Maria Velasquez", "Velasquez, Maria"), ("organisation", "Univ. of Tolbar", "University of Tolbar")}
+
+
+def test_spellings_beside_a_richer_name(spark):
+    from tessera.llm import variants
+
+    schema = "paper_id string, metadata struct<Authors: array<string>, Affiliations: array<string>, Provider: array<string>>"
+    a, b, rich = "University of Kashemilor", "University of Kashimalar", "University of Tolbunds"
+    rows = [("p1", ([], [a, b, rich], []))] + [(f"q{i}", ([], [rich], [])) for i in range(5)]
+    found = {tuple(r) for r in variants.links(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {("organisation", a, b)}
