@@ -38,3 +38,20 @@ def prepared(query: Query) -> Query:
 
     run.__name__, run.__doc__ = getattr(query, "__name__", "query"), query.__doc__
     return run
+
+
+class Registry:
+    """Queries by name with their SQL; used as ``@register("sql")`` above each query."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Query] = {}
+        self.oracles: dict[str, str] = {}
+
+    def __call__(self, sql: str | None = None) -> Callable[[Query], Query]:
+        def keep(query: Query) -> Query:
+            self.queries[query.__name__] = query
+            if sql is not None:
+                self.oracles[query.__name__] = sql
+            return query
+
+        return keep
