@@ -34,7 +34,7 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consensus label of every paper with a successful run and every closed attribute."""
-    return consensus.consensus(scan(spark, sf_dir, "results"), scan(spark, sf_dir, "attr_schema")).select("paper_id", "attribute", "label")
+    return consensus.labels(scan(spark, sf_dir, "results"), scan(spark, sf_dir, "attr_schema"))
 
 
 def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
