@@ -9,8 +9,16 @@ text within ``k`` edits, at most ``k`` places off; so an equality join on (lengt
 segment number, substring) finds every candidate, and the built-in ``levenshtein``
 verifies it. An anti-join reports what has no match, as entry 0.
 
+Names that no spelling rule reaches ("opinion mining" for "sentiment analysis")
+are learned from the table itself: where other records of the same paper hold a
+listed entry, the unmatched name is taken for it if at least ``SUPPORT`` papers say
+so, they are at least ``SHARE`` of the papers that could, and no other entry comes near.
+Names learned so, and those a caller gives, are reference texts of a second pass of the same join, so
+their misspelt forms match as well.
+
 The work is done on distinct values, so a value that fills a third of all rows is
-resolved once. The reference list is a dimension table; no side is broadcast by a
+resolved once, and evidence is counted by paper, so a paper with a third of all rows is one witness.
+The reference list is a dimension table; no side is broadcast by a
 hint, Spark decides by the size it measures.
 
 Numbers must agree exactly, as another version of a licence is another licence.
@@ -26,55 +34,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Other names of listed entries, by the entry's text (fixed values).
-ALIASES = {
-    "CC0 1.0": ["CC-Zero 1.0", "Creative Commons Zero v1.0 Universal", "public domain dedication CC0", "CC0"],
-    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "ASL 2.0"],
-    "MIT License": ["MIT", "The MIT licence", "Expat / MIT", "Expat"],
-    "BSD-3-Clause": ["3-clause BSD license", "New BSD (three clauses)", "BSD 3-clause New"],
-    "BSD-2-Clause": ["2-clause BSD license", "BSD two clause licence", "Simplified BSD (2-clause)"],
-    "GPL-3.0": ["GNU General Public License v3", "GNU GPL 3.0 only"],
-    "GPL-2.0": ["GNU General Public License v2.0", "GNU GPL version 2"],
-    "LGPL-3.0": ["GNU Lesser General Public License v3", "Lesser GPL 3.0", "GNU LGPL v3"],
-    "AGPL-3.0": ["GNU Affero General Public License 3.0", "Affero GPL v3", "GNU AGPL v3"],
-    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla licence v2"],
-    "ODbL-1.0": ["Open Database License (ODbL) v1.0", "Open Database License 1.0", "Open Data Commons ODbL", "ODbL"],
-    "CDLA-Permissive-2.0": ["Community Data License Agreement Permissive 2.0", "Community Data License Agreement - Permissive, Version 2.0"],
-    "CDLA-Sharing-1.0": ["Community Data License Agreement Sharing 1.0", "Community Data License Agreement - Sharing, Version 1.0"],
-    "EUPL-1.2": ["European Union Public Licence 1.2"],
-    "Norland Corpus Licence 2.0": ["NCL 2.0"],
-    "Research Use Only Agreement": ["research-only", "for research use only", "RUO agreement"],
-    "named entity recognition": ["name tagging", "named entity tagging"],
-    "machine translation": ["automatic translation", "traduction automatique"],
-    "speech recognition": ["automatic speech recognition", "speech-to-text", "transcription of speech"],
-    "question answering": ["Q&A"],
-    "sentiment analysis": ["opinion polarity", "sentiment classification", "opinion mining"],
-    "text generation": ["natural language generation", "NLG"],
-    "language modeling": ["LM pre-training", "language modelling"],
-    "natural language inference": ["textual entailment"],
-    "information retrieval": ["document retrieval", "ad-hoc search"],
-    "fake news detection": ["fake-news classification"],
-    "dialect identification": ["dialect classification", "dialect ID"],
-    "offensive language detection": ["abusive language detection"],
-    "dependency parsing": ["syntactic dependency parsing"],
-    "morphological analysis": ["morphology analysis"],
-    "summarization": ["summarisation", "text summarisation", "résumé automatique"],
-    "transliteration": ["romanization / transliteration", "script transliteration", "romanization"],
-    "meter classification": ["poetic metre classification", "metre classification"],
-    "part of speech tagging": ["PoS-tagging"],
-    "optical character recognition": ["OCR of scans"],
-    "speaker identification": ["speaker ID"],
-    "paraphrase detection": ["paraphrase identification"],
-    "instruction tuning": ["instruction fine-tuning"],
-    "topic classification": ["topic categorisation"],
-    "diacritization": ["diacritic restoration", "vowelization"],
-}
 #: Abbreviated words of titles (fixed values).
 ABBREVIATIONS = {
     "conf": "conference", "wksp": "workshop", "symp": "symposium", "trans": "transactions", "j": "journal", "intl": "international", "int": "international",
     "res": "resources", "lang": "language", "annot": "annotation", "tech": "technology", "proc": "processing", "sys": "systems", "eval": "evaluation", "doc": "documentation", "eng": "engineering",
 }
 #: Edits allowed, by field: (least length of the form, edits), the longest first.
+DEFAULT_EDITS = [(14, 3), (11, 2), (8, 1)]
+#: Evidence that a learned name needs: papers, their share of all that could say so, and the most of it that another entry may have.
+SUPPORT, SHARE, RIVAL = 2, 0.6, 0.5
 EDITS = {"License": [(18, 3), (12, 2), (9, 1)], "Host": [(9, 4), (7, 3)], "Venue Title": [(16, 4), (10, 2)], "Tasks": [(14, 4), (11, 3), (9, 2)]}
 
 _ACCENTS = ("éèêëàâäáãîïíìôöóòõûùüúçñ", "eeeeaaaaaiiiiooooouuuucn")
@@ -107,8 +75,10 @@ def form_sql(field: str, value: str) -> str:
         text = _replace(clean, (r"[-_]", " "), (r"^proc(eedings|\.)? of the (\d+(st|nd|rd|th)|\d\d\d\d) ", ""), (r" ?\([a-z]+ ?\d*\)", ""), (r",? pp\..*$", ""), (r"[, ]*(19|20)\d\d$", ""), (r"[’`\x27]\d\d$", ""), (r"[^a-z0-9]+", " "))
         for short, full in ABBREVIATIONS.items():
             text = _replace(text, (rf"\b{short}\b", full))
-    else:
+    elif field == "Tasks":
         text = _replace(clean, (r" ?\((main|[a-z][a-z][a-z]?)\)$", ""), (r" ?- ?benchmark$", ""), (r" tasks?$", ""), (r"&", " and "), (r"[^a-z0-9]+", " "))
+    else:
+        text = _replace(clean, (r"[^\p{{L}}\p{{N}}]+", " "))  # doubled for str.format
     return f"trim(regexp_replace({text}, ' +', ' '))"
 
 
@@ -122,12 +92,13 @@ def _forms(source: str, value: str) -> str:
     cases = " ".join(f"WHEN '{f}' THEN {form_sql(f, value)}" for f in EDITS)
     return f"""
       SELECT *, {_BAG} AS bag, {_COMPACT} AS compact, concat_ws(' ', regexp_extract_all(form, r'([0-9]+(?:[.][0-9]+)?)')) AS numbers
-      FROM (SELECT *, CASE field {cases} END AS form FROM {source})"""
+      FROM (SELECT *, CASE field {cases} ELSE {form_sql('', value)} END AS form FROM {source})"""
 
 
 def _allowed(column: str) -> str:
     """SQL for the edits allowed for a form of the field, by its length."""
-    return "CASE field " + " ".join(f"WHEN '{f}' THEN CASE " + " ".join(f"WHEN length({column}) >= {n} THEN {k}" for n, k in steps) + " ELSE 0 END" for f, steps in EDITS.items()) + " END"
+    steps = lambda rows: "CASE " + " ".join(f"WHEN length({column}) >= {n} THEN {k}" for n, k in rows) + " ELSE 0 END"
+    return "CASE field " + " ".join(f"WHEN '{f}' THEN {steps(rows)}" for f, rows in EDITS.items()) + f" ELSE {steps(DEFAULT_EDITS)} END"
 
 
 def typed_values(gold: DataFrame) -> DataFrame:
@@ -145,24 +116,11 @@ def typed_values(gold: DataFrame) -> DataFrame:
     )
 
 
-def match_values(values: DataFrame, reference: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """``(field, value, canonical_id)`` of distinct ``(field, value)``; 0 where no entry is meant."""
+def _join(typed: DataFrame, ref: DataFrame) -> DataFrame:
+    """``(field, value, canonical_id)`` of the typed forms that match one of the reference forms, and only one entry."""
     from tessera.session import cut_lineage
 
-    spark = values.sparkSession
-    known = ALIASES if aliases is None else aliases
-    extra = spark.createDataFrame([(c, a) for c, names in known.items() for a in names] or [("", "")], "canonical string, alias string")
-    ref = spark.sql(
-        """
-        SELECT DISTINCT field, canonical_id, form, bag, compact, numbers FROM (
-        """
-        + _forms("(SELECT field, canonical_id, explode(array(name, replace(lower(name), 'license', 'licence'), replace(lower(name), 'licence', 'license'), CASE WHEN canonical LIKE 'CC %' THEN concat(name, ' International') ELSE name END)) AS name FROM (SELECT field, canonical_id, canonical, explode(array_compact(flatten(array(array(canonical, short_form), aliases)))) AS name FROM (SELECT r.*, coalesce(x.aliases, array()) AS aliases FROM {reference} r LEFT JOIN (SELECT canonical, collect_list(alias) AS aliases FROM {extra} GROUP BY canonical) x USING (canonical))))", "name")
-        + ") WHERE form <> ''",
-        reference=reference,
-        extra=extra,
-    )
-    ref = cut_lineage(ref)
-    typed = cut_lineage(spark.sql(_forms("{values}", "value"), values=values))
+    spark = typed.sparkSession
     # equal compact forms, then equal bags of stems
     exact = spark.sql(
         """
@@ -177,7 +135,12 @@ def match_values(values: DataFrame, reference: DataFrame, aliases: dict[str, lis
         ref=ref,
     )
     exact = cut_lineage(exact)
-    left = spark.sql("SELECT t.* FROM {typed} t LEFT ANTI JOIN {exact} e ON t.field = e.field AND t.value = e.value", typed=typed, exact=exact)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the forms are few bytes, the work on them is not
+    left = spark.sql(
+        f"SELECT /*+ REPARTITION({tasks}) */ DISTINCT t.field, t.value, t.compact, t.numbers, length(t.compact) AS size FROM {{typed}} t LEFT ANTI JOIN {{exact}} e ON t.field = e.field AND t.value = e.value",
+        typed=typed,
+        exact=exact,
+    )
     segments = spark.sql(
         """
         SELECT field, canonical_id, compact, numbers, k, length(compact) AS len, seg,
@@ -187,15 +150,17 @@ def match_values(values: DataFrame, reference: DataFrame, aliases: dict[str, lis
         + " AS k FROM {ref}) WHERE k > 0)",
         ref=ref,
     )
-    lengths = spark.sql("SELECT DISTINCT field, len, k, seg, floor(seg * len / (k + 1)) + 1 AS start, length(part) AS width FROM {segments}", segments=segments)
+    # which segments a text of each size is looked up by
+    lengths = spark.sql(
+        "SELECT DISTINCT field, len, k, seg, floor(seg * len / (k + 1)) + 1 AS start, length(part) AS width, explode(sequence(len - k, len + k)) AS size FROM {segments}", segments=segments
+    )
     # every substring that could be an equal segment: of the segment's width, at most k places off
     parts = spark.sql(
         """
         SELECT DISTINCT field, value, compact, numbers, len, seg, substring(compact, at, width) AS part FROM (
-          SELECT t.field, t.value, t.compact, t.numbers, l.len, l.seg, l.width, explode(sequence(greatest(1, l.start - l.k), greatest(1, l.start + l.k))) AS at
-          FROM (SELECT DISTINCT field, value, compact, numbers FROM {left}) t
-          JOIN {lengths} l ON t.field = l.field AND abs(length(t.compact) - l.len) <= l.k
-        ) WHERE at + width - 1 <= length(compact)""",
+          SELECT t.*, l.len, l.seg, l.width, explode(sequence(greatest(1, l.start - l.k), greatest(1, l.start + l.k))) AS at
+          FROM {left} t JOIN {lengths} l ON t.field = l.field AND t.size = l.size
+        ) WHERE at + width - 1 <= size""",
         left=left,
         lengths=lengths,
     )
@@ -213,14 +178,71 @@ def match_values(values: DataFrame, reference: DataFrame, aliases: dict[str, lis
         WHERE edits = least GROUP BY field, value HAVING count(DISTINCT canonical_id) = 1""",
         near=near,
     )
-    hits = cut_lineage(spark.sql("SELECT field, value, canonical_id FROM {exact} UNION ALL SELECT field, value, canonical_id FROM {best}", exact=exact, best=best))
+    return cut_lineage(spark.sql("SELECT field, value, canonical_id FROM {exact} UNION ALL SELECT field, value, canonical_id FROM {best}", exact=exact, best=best))
+
+
+def learn_names(rows: DataFrame, forms: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(field, canonical_id, form, bag, compact, numbers)``: unmatched forms that other records of the same papers explain.
+
+    ``rows`` has ``(paper_id, record_id, field, value)``. A witness is a paper where another record holds an entry that the
+    records with the form don't. Forms and entries are made distinct by paper first; a paper has at most as many entries as the list.
+    """
+    return rows.sparkSession.sql(
+        """
+        WITH known AS (SELECT DISTINCT r.paper_id, r.record_id, r.field, h.canonical_id FROM {rows} r JOIN {hits} h ON r.field = h.field AND r.value = h.value WHERE r.paper_id IS NOT NULL),
+        open AS (SELECT DISTINCT r.paper_id, r.record_id, r.field, f.compact FROM {rows} r JOIN {forms} f ON r.field = f.field AND r.value = f.value
+                 LEFT ANTI JOIN {hits} h ON r.field = h.field AND r.value = h.value WHERE r.paper_id IS NOT NULL AND f.compact <> ''),
+        own AS (SELECT DISTINCT o.paper_id, o.field, o.compact, k.canonical_id FROM open o JOIN known k ON o.record_id = k.record_id AND o.field = k.field),
+        said AS (SELECT o.paper_id, o.field, o.compact, k.canonical_id FROM (SELECT DISTINCT paper_id, field, compact FROM open) o
+                 JOIN (SELECT DISTINCT paper_id, field, canonical_id FROM known) k ON o.paper_id = k.paper_id AND o.field = k.field
+                 LEFT ANTI JOIN own w ON w.paper_id = o.paper_id AND w.field = o.field AND w.compact = o.compact AND w.canonical_id = k.canonical_id),
+        able AS (SELECT field, compact, count(DISTINCT paper_id) AS papers FROM said GROUP BY field, compact),
+        sums AS (SELECT field, compact, canonical_id, count(*) AS n FROM said GROUP BY field, compact, canonical_id),
+        best AS (SELECT s.field, s.compact, max_by(s.canonical_id, struct(s.n, -s.canonical_id)) AS canonical_id, max(s.n) AS most, sum(s.n) AS total, any_value(a.papers) AS papers,
+                        slice(array_sort(collect_list(-s.n)), 2, 1) AS second
+                 FROM sums s JOIN able a ON s.field = a.field AND s.compact = a.compact GROUP BY s.field, s.compact)
+        SELECT b.field, b.canonical_id, min(f.form) AS form, min(f.bag) AS bag, b.compact, min(f.numbers) AS numbers
+        FROM best b JOIN {forms} f ON b.field = f.field AND b.compact = f.compact
+        WHERE b.most >= """
+        + f"{SUPPORT} AND b.most >= {SHARE} * b.papers AND coalesce(-get(b.second, 0), 0) < {RIVAL} * b.most GROUP BY b.field, b.canonical_id, b.compact",
+        rows=rows,
+        forms=forms,
+        hits=hits,
+    )
+
+
+def resolve_values(rows: DataFrame, reference: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """``(field, value, canonical_id)`` of the distinct values of ``rows`` ``(paper_id, record_id, field, value)``; 0 where no entry is meant.
+
+    ``aliases`` gives other names of listed texts; there are none by default.
+    """
+    from tessera.session import cut_lineage
+
+    spark = rows.sparkSession
+    extra = spark.createDataFrame([(c, a) for c, names in (aliases or {}).items() for a in names] or [("", "")], "canonical string, alias string")
+    ref = spark.sql(
+        """
+        SELECT DISTINCT field, canonical_id, form, bag, compact, numbers FROM (
+        """
+        + _forms("(SELECT field, canonical_id, explode(array(name, replace(lower(name), 'license', 'licence'), replace(lower(name), 'licence', 'license'), CASE WHEN canonical LIKE 'CC %' THEN concat(name, ' International') ELSE name END)) AS name FROM (SELECT field, canonical_id, canonical, explode(array_compact(flatten(array(array(canonical, short_form), aliases)))) AS name FROM (SELECT r.*, coalesce(x.aliases, array()) AS aliases FROM {reference} r LEFT JOIN (SELECT canonical, collect_list(alias) AS aliases FROM {extra} GROUP BY canonical) x USING (canonical))))", "name")
+        + ") WHERE form <> ''",
+        reference=reference,
+        extra=extra,
+    )
+    ref = cut_lineage(ref)
+    values = spark.sql("SELECT DISTINCT field, value FROM {rows}", rows=rows)
+    typed = cut_lineage(spark.sql(_forms("{values}", "value"), values=values))
+    hits = _join(typed, ref)
+    names = cut_lineage(learn_names(rows, typed, hits))
+    left = spark.sql("SELECT t.* FROM {typed} t LEFT ANTI JOIN {hits} h ON t.field = h.field AND t.value = h.value", typed=typed, hits=hits)
+    more = _join(cut_lineage(left), names)
     return spark.sql(
         """
-        SELECT * FROM {hits}
-        UNION ALL
-        SELECT v.field, v.value, 0 AS canonical_id FROM {values} v LEFT ANTI JOIN {hits} h ON v.field = h.field AND v.value = h.value""",
+        SELECT t.field, t.value, coalesce(h.canonical_id, 0) AS canonical_id FROM {typed} t
+        LEFT JOIN (SELECT * FROM {hits} UNION ALL SELECT * FROM {more}) h ON t.field = h.field AND t.value = h.value""",
+        typed=typed,
         hits=hits,
-        values=values,
+        more=more,
     )
 
 
@@ -229,7 +251,15 @@ def resolve(gold: DataFrame, reference: DataFrame, aliases: dict[str, list[str]]
     from tessera.session import cut_lineage
 
     spark = gold.sparkSession
-    rows = spark.sql("SELECT t.* FROM {typed} t LEFT ANTI JOIN {reference} r ON t.field = r.field AND t.value = r.canonical", typed=typed_values(gold), reference=reference)
-    values = cut_lineage(spark.sql("SELECT DISTINCT field, value FROM {rows}", rows=rows))
-    found = match_values(values, reference, aliases)
-    return spark.sql("SELECT r.record_id, r.field, r.pos, m.canonical_id FROM {rows} r JOIN {found} m ON r.field = m.field AND r.value = m.value", rows=rows, found=found)
+    typed = typed_values(gold)
+    papers = spark.sql("SELECT DISTINCT record_id, paper_id FROM {gold}", gold=gold)
+    rows = cut_lineage(spark.sql("SELECT t.*, p.paper_id FROM {typed} t LEFT JOIN {papers} p USING (record_id)", typed=typed, papers=papers))
+    found = resolve_values(rows, reference, aliases)
+    return spark.sql(
+        """
+        SELECT DISTINCT r.record_id, r.field, r.pos, m.canonical_id FROM {rows} r JOIN {found} m ON r.field = m.field AND r.value = m.value
+        LEFT ANTI JOIN {reference} c ON r.field = c.field AND r.value = c.canonical""",
+        rows=rows,
+        found=found,
+        reference=reference,
+    )
