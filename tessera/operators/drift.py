@@ -31,11 +31,14 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage, written
+
 #: Records of a file whose values its sketches hold.
 SKETCH = 512
 #: Least share of agreeing shared records, and least number of them, for two fields to be the same.
@@ -45,7 +48,7 @@ NESTED = "Subsets"
 #: Fields that the elements of the nested list are known by.
 NESTED_KEYS = frozenset(("name", "volume", "unit", "dialect", "language"))
 
-PROFILE = "file_id long, field string, nested boolean, kinds map<string,long>, keys array<long>, atoms array<array<long>>"
+PROFILE = "file_id long, field string, nested boolean, kinds map<string,long>, keys array<long>, whole array<long>, atoms array<array<long>>"
 CHANGES = "file_id long, field string, change string"
 LINKS = "file_id long, prev_file_id long, nested boolean, field string, prev_field string, change string"
 
@@ -130,6 +133,7 @@ def profile(body: str | None, key_field: str = KEY_FIELD) -> list[tuple]:
     kinds: dict[tuple[str, bool], Counter] = defaultdict(Counter)
     kept: dict[tuple[str, bool], dict[int, set[str]]] = defaultdict(dict)
     sample: list[int] = []  # the largest of the kept key hashes first
+    held: set[int] = set()
 
     def see(name: str, inner: bool, key: int | None, value: object) -> None:
         kinds[name, inner][kind(value) or ""] += 1
@@ -141,11 +145,14 @@ def profile(body: str | None, key_field: str = KEY_FIELD) -> list[tuple]:
         key = None
         if isinstance(paper, str) and paper.strip():
             key = _hash(paper.strip())
-            if -key not in sample:
+            if key not in held:
                 if len(sample) < SKETCH:
                     heapq.heappush(sample, -key)
+                    held.add(key)
                 elif -sample[0] > key:
                     out = -heapq.heapreplace(sample, -key)
+                    held.remove(out)
+                    held.add(key)
                     for values in kept.values():
                         values.pop(out, None)
                 else:
@@ -166,10 +173,12 @@ def profile(body: str | None, key_field: str = KEY_FIELD) -> list[tuple]:
                     for k, v in inner_values.items():
                         if v:
                             kept[k, True][key] = set(v)
-    return [
-        (name, inner, dict(c), list(values := kept.get((name, inner), {})), [sorted(map(_hash, a)) for a in values.values()])
-        for (name, inner), c in kinds.items()
-    ]
+    out = []
+    for (name, inner), c in kinds.items():
+        values = kept.get((name, inner), {})
+        told = [sorted(map(_hash, a)) for a in values.values()]
+        out.append((name, inner, dict(c), list(values), [x[0] if len(x) == 1 else _hash(repr(x)) for x in told], told))
+    return out
 
 
 def profiles(files: DataFrame, key_field: str = KEY_FIELD) -> DataFrame:
@@ -178,7 +187,7 @@ def profiles(files: DataFrame, key_field: str = KEY_FIELD) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(file_id, *x) for file_id, body in zip(batch["file_id"], batch["body"]) for x in profile(body if isinstance(body, str) else None, key_field)]
-            yield pd.DataFrame(rows, columns=["file_id", "field", "nested", "kinds", "keys", "atoms"])
+            yield pd.DataFrame(rows, columns=["file_id", "field", "nested", "kinds", "keys", "whole", "atoms"])
 
     return files.select("file_id", "body").mapInPandas(run, PROFILE)
 
@@ -189,22 +198,31 @@ def main_kind(kinds: dict[str, int]) -> str | None:
     return max(told)[1] if told else None
 
 
-def agreement(a: dict[int, frozenset], b: dict[int, frozenset], kind_a: str | None, kind_b: str | None) -> tuple[float, int]:
+class Values:
+    """The sketch of one field: record keys, one hash for each record's whole value, and the hashes of its atoms."""
+
+    def __init__(self, keys, whole, told) -> None:
+        self.keys, self.whole, self.told = np.asarray(keys, dtype="int64"), np.asarray(whole, dtype="int64"), told
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+
+def agreement(a: Values, b: Values, kind_a: str | None, kind_b: str | None) -> tuple[float, int]:
     """Mean likeness of two fields over the records both sketches hold, and their number.
 
     The same type: the values must be equal. Another type: the lesser set of
-    atoms must lie within the greater.
+    atoms must lie within the greater; only then are atoms looked at.
     """
-    shared = a.keys() & b.keys()
-    if not shared:
+    shared, at_a, at_b = np.intersect1d(a.keys, b.keys, assume_unique=True, return_indices=True)
+    if not len(shared):
         return 0.0, 0
+    if kind_a == kind_b and kind_a not in ("object", "list of objects"):
+        return float((a.whole[at_a] == b.whole[at_b]).mean()), len(shared)
     total = 0.0
-    for k in shared:
-        x, y = a[k], b[k]
-        if kind_a == kind_b and kind_a not in ("object", "list of objects"):
-            total += x == y
-        else:
-            total += len(x & y) / min(len(x), len(y))
+    for i, j in zip(at_a, at_b):
+        x, y = set(a.told[i]), set(b.told[j])
+        total += len(x & y) / min(len(x), len(y))
     return total / len(shared), len(shared)
 
 
@@ -256,7 +274,6 @@ def _weight(old: tuple, new: tuple) -> float:
     """How likely ``new`` is the same field as ``old``; 0 if it is not."""
     (name_a, kind_a, vals_a), (name_b, kind_b, vals_b) = old, new
     share, n = agreement(vals_a, vals_b, kind_a, kind_b)
-    likeness = difflib.SequenceMatcher(None, name_a.casefold(), name_b.casefold()).ratio()
     if name_a == name_b:
         # the same name is the same field, unless its values moved to another
         return 1.2 + share if n < LEAST or share >= AGREE else 0.3
@@ -264,7 +281,10 @@ def _weight(old: tuple, new: tuple) -> float:
         # no values to compare: only another writing of the same name
         same = re.sub(r"[\W_]", "", name_a.casefold()) == re.sub(r"[\W_]", "", name_b.casefold())
         return 0.2 if same and (kind_a == kind_b or None in (kind_a, kind_b)) else 0.0
-    if share < AGREE or (n < LEAST and likeness < 0.5 and min(len(vals_a), len(vals_b)) > n):
+    if share < AGREE:
+        return 0.0
+    likeness = difflib.SequenceMatcher(None, name_a.casefold(), name_b.casefold()).ratio()
+    if (n < LEAST and likeness < 0.5 and min(len(vals_a), len(vals_b)) > n):
         return 0.0
     return share + 0.3 * likeness + (0.1 if kind_a == kind_b else 0.0)
 
@@ -288,8 +308,8 @@ def _group(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for (file_id, prev, inner), part in pdf.groupby(["target", "prev_file_id", "nested"]):
         sides: dict[bool, list[tuple]] = {True: [], False: []}
-        for current, field, kinds, keys, values in zip(part["current"], part["field"], part["kinds"], part["keys"], part["atoms"]):
-            sides[bool(current)].append((field, main_kind(dict(kinds)), {k: frozenset(v) for k, v in zip(keys, values)}))
+        for current, field, kinds, keys, values in zip(part["current"], part["field"], part["kinds"], zip(part["keys"], part["whole"]), part["atoms"]):
+            sides[bool(current)].append((field, main_kind(dict(kinds)), Values(*keys, values)))
         if not sides[False] or not sides[True]:
             continue
         for a, b, kind_a, kind_b in compare(sides[False], sides[True]):
@@ -303,7 +323,7 @@ def _group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["file_id", "prev_file_id", "nested", "field", "prev_field", "change"])
 
 
-def _distinct_files(files: DataFrame) -> DataFrame:
+def _dated_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("file_id").isNotNull() & F.col("feed").isNotNull() & F.col("written_at").isNotNull())
 
 
@@ -313,9 +333,9 @@ def links(files: DataFrame, key_field: str = KEY_FIELD) -> DataFrame:
     The lists' inner fields (``nested``) are compared with the latest earlier
     file of the feed in which the nested list held objects.
     """
-    usable = _distinct_files(files)
-    # rows of one file are copies: one of each field is kept, which are small rows
-    prof = profiles(usable, key_field).dropDuplicates(["file_id", "nested", "field"])
+    usable = _dated_files(files)
+    # rows of one file are copies: one of each field is kept, which are small rows; bodies are read and profiled once
+    prof = written(profiles(usable, key_field).dropDuplicates(["file_id", "nested", "field"]))
     heads = usable.select("file_id", "feed", "written_at").distinct()
     has = prof.groupBy("file_id").agg(F.max("nested").alias("has_nested"), F.min("nested").alias("_n"))
     order = Window.partitionBy("feed").orderBy("written_at", "file_id")
@@ -350,99 +370,130 @@ UNIFIED = {
     "Name": "string", "License": "string", "Year": "int", "Language": "list", "Dialect": "list", "Domain": "list", "Script": "list",
     "Volume": "double", "Unit": "string", "Tokenized": "boolean", "Subsets": "subsets",
 }
-_SQL = {"list": "array<string>", "subsets": "array<struct<Name:string,Volume:double,Unit:string,Dialect:string,Language:string>>"}
+#: The same of the elements of the nested list.
+INNER = {"Name": "string", "Volume": "double", "Unit": "string", "Dialect": "string", "Language": "string"}
+_SQL = {"list": "array<string>", "subsets": "array<struct<Name:string,Volume:double,Unit:string,Dialect:string,Language:string,other:map<string,string>>>"}
 
 
-def roots(found: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``(file_id, field, root)``: the name under which each top-level field first came in its feed.
+def roots(found: DataFrame) -> DataFrame:
+    """``(file_id, nested, field, root)``: the name under which each field first came in its feed.
 
     Pointer doubling over the links: a chain of n files takes log2(n) rounds.
     """
-    from tessera.session import cut_lineage
-
     nodes = (
-        found.where(~F.col("nested") & F.col("field").isNotNull())
-        .groupBy("file_id", "field")
+        found.where(F.col("field").isNotNull())
+        .groupBy("file_id", "nested", "field")
         .agg(F.min("prev_field").alias("up_field"), F.min(F.when(F.col("prev_field").isNotNull(), F.col("prev_file_id"))).alias("up_file"))
     )
     # the first file of a chain is only ever named as the earlier side
-    first = found.where(~F.col("nested") & F.col("prev_field").isNotNull()).select(F.col("prev_file_id").alias("file_id"), F.col("prev_field").alias("field")).distinct()
-    first = first.join(nodes, ["file_id", "field"], "left_anti").withColumn("up_field", F.lit(None).cast("string")).withColumn("up_file", F.lit(None).cast("long"))
-    state = cut_lineage(nodes.unionByName(first).select("file_id", "field", F.coalesce("up_file", "file_id").alias("up_file"), F.coalesce("up_field", "field").alias("up_field")))
-    for _ in range(max_rounds):
-        up = state.select(F.col("file_id").alias("up_file"), F.col("field").alias("up_field"), F.col("up_file").alias("n_file"), F.col("up_field").alias("n_field"))
-        nxt = cut_lineage(state.join(up, ["up_file", "up_field"], "left").select("file_id", "field", F.coalesce("n_file", "up_file").alias("up_file"), F.coalesce("n_field", "up_field").alias("up_field"), (F.col("n_file") != F.col("up_file")).alias("moved")))
+    first = found.where(F.col("prev_field").isNotNull()).select(F.col("prev_file_id").alias("file_id"), "nested", F.col("prev_field").alias("field")).distinct()
+    first = first.join(nodes, ["file_id", "nested", "field"], "left_anti").withColumn("up_field", F.lit(None).cast("string")).withColumn("up_file", F.lit(None).cast("long"))
+    state = cut_lineage(nodes.unionByName(first).select("file_id", "nested", "field", F.coalesce("up_file", "file_id").alias("up_file"), F.coalesce("up_field", "field").alias("up_field")))
+    while True:
+        up = state.select(F.col("file_id").alias("up_file"), "nested", F.col("field").alias("up_field"), F.col("up_file").alias("n_file"), F.col("up_field").alias("n_field"))
+        joined = state.join(up, ["up_file", "nested", "up_field"], "left")
+        nxt = cut_lineage(joined.select("file_id", "nested", "field", F.coalesce("n_file", "up_file").alias("up_file"), F.coalesce("n_field", "up_field").alias("up_field"), (F.col("n_file") != F.col("up_file")).alias("moved")))
         state = nxt.drop("moved")
         if not nxt.where("moved").limit(1).count():
             break
-    return state.select("file_id", "field", F.col("up_field").alias("root"))
+    return state.select("file_id", "nested", "field", F.col("up_field").alias("root"))
 
 
-def standard_names(found: DataFrame, root: DataFrame, known: tuple[str, ...] = tuple(UNIFIED)) -> DataFrame:
-    """``(file_id, field, name)``: the root, or, where a feed began under another name, the known name it is most often renamed from or to."""
-    pairs = found.where((F.col("change") == "renamed") & ~F.col("nested"))
-    both = pairs.select(F.col("prev_field").alias("root"), F.col("field").alias("name")).unionByName(pairs.select(F.col("field").alias("root"), F.col("prev_field").alias("name")))
+def standard_names(found: DataFrame, root: DataFrame, known: tuple[str, ...] = tuple(UNIFIED), inner: tuple[str, ...] = tuple(INNER)) -> DataFrame:
+    """``(file_id, nested, field, name)``: the root, or, where a feed began under another name, the known name it is most often renamed from or to."""
+    pairs = found.where(F.col("change") == "renamed")
+    both = pairs.select("nested", F.col("prev_field").alias("root"), F.col("field").alias("name")).unionByName(pairs.select("nested", F.col("field").alias("root"), F.col("prev_field").alias("name")))
+    is_known = lambda c: F.when(F.col("nested"), F.col(c).isin(*inner)).otherwise(F.col(c).isin(*known))
     best = (
-        both.where(F.col("name").isin(*known) & ~F.col("root").isin(*known))
-        .groupBy("root", "name").count()
-        .groupBy("root").agg(F.max_by("name", F.struct("count", "name")).alias("name"))
+        both.where(is_known("name") & ~is_known("root"))
+        .groupBy("nested", "root", "name").count()
+        .groupBy("nested", "root").agg(F.max_by("name", F.struct("count", "name")).alias("name"))
     )
-    return root.join(best, "root", "left").select("file_id", "field", F.coalesce("name", "root").alias("name"))
+    return root.join(best, ["nested", "root"], "left").select("file_id", "nested", "field", F.coalesce("name", "root").alias("name"))
 
 
-def _coerce(value: object, to: str) -> object:
+def _coerce(value: object, to: str) -> tuple[object, bool]:
+    """A value brought to a type, and whether nothing of it was lost."""
     if value is None:
-        return None
-    if isinstance(value, dict) and to not in ("subsets",):
-        value = value.get("label", next(iter(value.values()), None))
+        return None, True
+    if isinstance(value, dict):
+        if len(value) != 1:
+            return _coerce(value.get("label", next(iter(value.values()), None)), to)[0], False
+        value = next(iter(value.values()))
     if to == "list":
-        held = value if isinstance(value, list) else re.split(r",\s", value) if isinstance(value, str) else [value]
-        return [str(x) for x in held if x is not None and str(x).strip()]
-    if to == "subsets":
-        return _subsets(value)
+        items = value if isinstance(value, list) else re.split(r",\s", value) if isinstance(value, str) else [value]
+        flat = [x for x in items if not isinstance(x, (dict, list))]
+        return [str(x) for x in flat if x is not None and str(x).strip()], len(flat) == len(items)
     if isinstance(value, list):
-        value = value[0] if value else None
-    if value is None:
-        return None
+        return (_coerce(value[0], to)[0], len(value) == 1) if value else (None, True)
     try:
         if to == "double":
-            return float(str(value).replace(",", ""))
+            return float(str(value).replace(",", "")), True
         if to == "int":
-            return int(float(str(value).replace(",", "")))
+            number = float(str(value).replace(",", ""))
+            return int(number), number == int(number)
         if to == "boolean":
-            return {"true": True, "false": False}.get(str(value).strip().casefold())
+            got = {"true": True, "false": False}.get(str(value).strip().casefold())
+            return got, got is not None
     except (ValueError, OverflowError):
-        return None
-    return str(value)
-
-
-def _subsets(value: object) -> list[dict] | None:
+        return None, False
+    return str(value), True
+
+
+def _placed(record: dict, to: dict[str, str], types: dict[str, str]) -> tuple[list, dict[str, str]]:
+    """The values of the known columns, and the JSON of everything that has no place in them or doesn't fit one."""
+    held: dict[str, tuple[str, object]] = {}
+    rest: dict[str, object] = {}
+    for k, v in record.items():
+        name = to.get(k, k)
+        if name in types and (name not in held or held[name][1] is None):
+            held[name] = (k, v)
+        elif v is not None or name not in types:
+            rest[k] = v
+    wide = []
+    for name, kind_ in types.items():
+        k, v = held.get(name, (name, None))
+        got, whole = (_subsets(v, to) if kind_ == "subsets" else _coerce(v, kind_))
+        wide.append(got)
+        if not whole:
+            rest[k] = v
+    return wide, {k: json.dumps(v, ensure_ascii=False) for k, v in rest.items()}
+
+
+def _subsets(value: object, to: dict[str, str]) -> tuple[list[dict] | None, bool]:
+    if value is None:
+        return None, True
+    whole = True
     if isinstance(value, str):
-        value = dict(x.split(":", 1) for x in value.split(";") if ":" in x)
+        parts = [x for x in value.split(";") if x.strip()]
+        whole = all(":" in x for x in parts)
+        value = dict(x.split(":", 1) for x in parts if ":" in x)
     if isinstance(value, dict):
-        value = [{"Name": k.strip(), **dict(zip(("Volume", "Unit"), str(v).split()))} for k, v in value.items()]
+        value = [{"Name": k.strip(), **(v if isinstance(v, dict) else dict(zip(("Volume", "Unit"), str(v).split(None, 1))))} for k, v in value.items()]
     out = []
-    for x in value if isinstance(value, list) else []:
+    for x in value if isinstance(value, list) else [value]:
         x = {"Name": x} if isinstance(x, str) else x
         if isinstance(x, dict):
-            by = {k.casefold(): v for k, v in x.items()}
-            pick = lambda *names: next((by[n] for n in names if by.get(n) is not None), None)
-            out.append({"Name": _coerce(pick("name", "title", "label"), "string"), "Volume": _coerce(pick("volume", "size", "n_items"), "double"), "Unit": _coerce(pick("unit", "volume unit"), "string"), "Dialect": _coerce(pick("dialect", "dialects"), "string"), "Language": _coerce(pick("language", "lang"), "string")})
-    return out
+            wide, rest = _placed(x, {k[len(NESTED) + 1 :]: v for k, v in to.items() if k.startswith(f"{NESTED}.")}, INNER)
+            out.append({**dict(zip(INNER, wide)), "other": rest})
+        else:
+            whole = whole and x is None
+    return out, whole
 
 
 def unify(files: DataFrame, key_field: str = KEY_FIELD) -> DataFrame:
     """One row for each record of every file, with the same columns and types whatever the file's layout was.
 
-    Fields outside ``UNIFIED`` are kept, as JSON text, in the map ``other``.
-    A repeated file counts once. Values that can't be brought to the column's
-    type are null.
+    Renamed fields, and renamed fields inside ``Subsets``, go by the links found between the files. Nothing is lost: fields outside
+    ``UNIFIED``, a second field for a taken column, and values that the column's type can't hold as a whole (several elements
+    for one value, an object for its label, text for a number) are kept as JSON text in the map ``other``, that of the record or of the subset. A
+    repeated file counts once. A broken or null body has no records.
     """
-    from tessera.session import cut_lineage
-
     found = cut_lineage(links(files, key_field))
-    names = standard_names(found, roots(found)).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
-    one = _distinct_files(files).groupBy("file_id").agg(F.first("feed").alias("feed"), F.first("written_at").alias("written_at"), F.first("body").alias("body"))
+    named = standard_names(found, roots(found)).where("field <> name")
+    full = F.when(F.col("nested"), F.concat(F.lit(f"{NESTED}."), "field")).otherwise(F.col("field"))
+    names = named.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct(full, "name"))).alias("names"))  # fields of one file
+    one = _dated_files(files).dropDuplicates(["file_id"]).select("file_id", "feed", "written_at", "body")
     fields = ", ".join(f"`{n}` {_SQL.get(t, t)}" for n, t in UNIFIED.items())
     schema = f"file_id long, feed string, written_at timestamp, record_pos int, `{key_field}` string, {fields}, other map<string,string>"
     columns = ["file_id", "feed", "written_at", "record_pos", key_field, *UNIFIED, "other"]
@@ -450,17 +501,12 @@ def unify(files: DataFrame, key_field: str = KEY_FIELD) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for file_id, feed, at, body, named in zip(batch["file_id"], batch["feed"], batch["written_at"], batch["body"], batch["names"]):
-                to = dict(named) if named is not None else {}
+            for file_id, feed, at, body, names_ in zip(batch["file_id"], batch["feed"], batch["written_at"], batch["body"], batch["names"]):
+                to = dict(names_) if names_ is not None else {}
                 for pos, record in enumerate(records(body if isinstance(body, str) else None)):
-                    held: dict[str, object] = {}
-                    for k, v in record.items():
-                        name = to.get(k, k)
-                        if held.get(name) is None:
-                            held[name] = v
-                    paper = held.pop(key_field, None)
-                    wide = [_coerce(held.pop(n, None), t) for n, t in UNIFIED.items()]
-                    rows.append((file_id, feed, at, pos, None if paper is None else str(paper), *wide, {k: json.dumps(v, ensure_ascii=False) for k, v in held.items()}))
+                    paper = record.get(key_field)
+                    wide, rest = _placed({k: v for k, v in record.items() if k != key_field}, to, UNIFIED)
+                    rows.append((file_id, feed, at, pos, None if paper is None else str(paper), *wide, rest))
             out = pd.DataFrame(rows, columns=columns, dtype=object)
             yield out.astype({"file_id": "int64", "record_pos": "int32"}) if rows else out
 

@@ -6,9 +6,10 @@ their payload. :func:`flat_tables` applies the schema of each tag;
 :func:`write_tables` writes the emission partitioned by the tag, so a table is
 read back without touching the others.
 
-The key of a row is ``(file_id, run_pos, entity, parent_pos, pos)``; its parent
-is the ``run`` with the same ``(file_id, run_pos)``, or, for a subset inside a
-subset, the subset at ``parent_pos``.
+The key of a row is ``(file_id, run_pos, entity, path)``: the path holds the places of
+a subset and of all the subsets around it (``2.0.1``), so it is unique at any depth; ``pos`` is
+its last part and ``parent_pos`` the one before. The parent of a row is the ``run`` with the same
+``(file_id, run_pos)``, or, for a subset inside a subset, the one whose path is its own without the last part.
 
 Defined results of the edge cases: a null, blank or broken body gives no rows;
 so do missing, null and key-less objects; null elements and blank strings give
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-EMITTED = "file_id long, run_pos int, entity string, parent_pos int, pos int, payload string"
+EMITTED = "file_id long, run_pos int, entity string, parent_pos int, pos int, path string, payload string"
 KEY = ["file_id", "run_pos", "entity", "parent_pos", "pos"]
 
 #: Parts of a run that are single objects, and the lists inside them with the tag of their elements.
@@ -115,34 +116,37 @@ def _scalar(x: object) -> object:
     return x if x is None or isinstance(x, (str, bool, int, float)) else json.dumps(x, ensure_ascii=False)
 
 
-def visit(body: object) -> Iterator[tuple[int, str, int, int, object]]:
-    """Depth-first: ``(run_pos, entity, parent_pos, pos, payload)`` of every flat row below ``body``."""
+def visit(body: object) -> Iterator[tuple[int, str, int, int, str, object]]:
+    """Depth-first: ``(run_pos, entity, parent_pos, pos, path, payload)`` of every flat row below ``body``."""
 
-    def nested(run_pos: int, value: object, parent: int, depth: int) -> Iterator[tuple[int, str, int, int, object]]:
-        for pos, x in enumerate(elements(value, ELEMENT_KEYS)):
+    def nested(run_pos: int, top: object) -> Iterator[tuple[int, str, int, int, str, object]]:
+        # the subsets still to visit, the next on top: any depth of them is one stack
+        todo = [(x, -1, pos, str(pos)) for pos, x in enumerate(elements(top, ELEMENT_KEYS))][::-1]
+        while todo:
+            x, parent, pos, path = todo.pop()
             if _absent(x):
                 continue
-            yield run_pos, NESTED_TAG, parent, pos, {k: _scalar(v) for k, v in x.items() if k != NESTED_LIST} if isinstance(x, dict) else {"Name": _scalar(x)}
-            if isinstance(x, dict) and NESTED_LIST in x and depth < 200:
-                yield from nested(run_pos, x[NESTED_LIST], pos, depth + 1)
+            yield run_pos, NESTED_TAG, parent, pos, path, {k: _scalar(v) for k, v in x.items() if k != NESTED_LIST} if isinstance(x, dict) else {"Name": _scalar(x)}
+            if isinstance(x, dict) and NESTED_LIST in x:
+                todo += [(y, pos, p, f"{path}.{p}") for p, y in enumerate(elements(x[NESTED_LIST], ELEMENT_KEYS))][::-1]
 
     for run_pos, run in enumerate(_runs(body)):
         if not isinstance(run, dict) or not run:
             continue
-        yield run_pos, "run", -1, 0, {k: _scalar(v) for k, v in run.items() if k not in SINGLE}
+        yield run_pos, "run", -1, 0, "0", {k: _scalar(v) for k, v in run.items() if k not in SINGLE}
         for tag in SINGLE:
             part = unwrap(run.get(tag))
             if not isinstance(part, dict) or not part:
                 continue
             lists = LISTS.get(tag, ())
             inner = {name for name, _ in lists} | ({NESTED_LIST} if tag == "metadata" else set())
-            yield run_pos, tag, -1, 0, {k: _scalar(v) for k, v in part.items() if k not in inner}
+            yield run_pos, tag, -1, 0, "0", {k: _scalar(v) for k, v in part.items() if k not in inner}
             for name, element_tag in lists:
                 for pos, x in enumerate(elements(part.get(name), frozenset())):
                     if not _absent(x):
-                        yield run_pos, element_tag, -1, pos, {"value": _scalar(x)}
+                        yield run_pos, element_tag, -1, pos, str(pos), {"value": _scalar(x)}
             if tag == "metadata":
-                yield from nested(run_pos, part.get(NESTED_LIST), -1, 0)
+                yield from nested(run_pos, part.get(NESTED_LIST))
 
 
 def emit(df: DataFrame, id_column: str = "file_id", body_column: str = "body", payload: bool = True) -> DataFrame:
@@ -157,7 +161,7 @@ def emit(df: DataFrame, id_column: str = "file_id", body_column: str = "body", p
             for key, text in zip(batch[id_column], batch[body_column]):
                 ok, body = parse(text if isinstance(text, str) else None)
                 if ok:
-                    rows += ((key, *x[:4], json.dumps(x[4], ensure_ascii=False) if payload else None) for x in visit(body))
+                    rows += ((key, *x[:5], json.dumps(x[5], ensure_ascii=False) if payload else None) for x in visit(body))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in EMITTED.split(", ")])
 
     return df.where(F.col(id_column).isNotNull()).select(id_column, body_column).mapInPandas(run, EMITTED)
@@ -180,8 +184,8 @@ def flat_tables(df: DataFrame, id_column: str = "file_id", body_column: str = "b
 
 def typed(rows: DataFrame, tag: str) -> DataFrame:
     """The table of ``tag`` from emitted rows (or from a written emission, which prunes to one partition)."""
-    one = rows.where(F.col("entity") == tag).groupBy(KEY).agg(F.min("payload").alias("payload"))
-    keys = ["file_id", "run_pos", "parent_pos", "pos"]
+    one = rows.where(F.col("entity") == tag).groupBy(*KEY, "path").agg(F.min("payload").alias("payload"))
+    keys = ["file_id", "run_pos", "parent_pos", "pos", "path"]
     fields = StructType.fromDDL(SCHEMAS[tag]).fields
     texts = StructType([StructField(f.name, StringType()) for f in fields])
     read = one.select(*keys, F.from_json("payload", texts).alias("_p"), "payload")
