@@ -88,7 +88,7 @@ def read_latex(spark: SparkSession, folder: str) -> DataFrame:
     The group of a paper is its own source folder, a few files.
     """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tex").option("wholetext", True).text(folder).withColumn("path", F.col("_metadata.file_path"))
-    base = F.lit(folder.rstrip("/") + "/")
+    base = folder.rstrip("/") + "/"
     paper = F.substring_index(F.substring_index(F.col("path"), base, -1), "/", 1)
     parts = F.array_sort(F.collect_list(F.struct("path", "value")))
     return files.groupBy(paper.alias("paper")).agg(F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("text"), F.count("*").alias("n_files"))
