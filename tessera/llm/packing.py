@@ -12,7 +12,7 @@ one shard is left or ``ROUNDS`` are over.
 
 Only ids and sizes are shuffled, never texts.
 
-Defined results of the edge cases: null and empty texts have no tokens and take
+Defined results of the edge cases: null and empty texts, and null sizes, have no tokens and take
 no room: they have one row each, with neither container nor place; a text of
 exactly the capacity fills a container alone; repeated texts are items of their
 own; ties are broken by id and piece, so the result is the same in each run; an
@@ -128,7 +128,7 @@ def pieces(sizes: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id"
     """``(id, piece, start, size)``: each text, or, where it is longer than a container, its pieces."""
     n = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.lit(capacity))).cast("int")
     return (
-        sizes.where(F.col(id_column).isNotNull())
+        sizes.where(F.col(id_column).isNotNull()).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
         .select(id_column, "n_tokens", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
         .select(id_column, "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece").cast("long") * capacity).alias("size"))
     )

@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,7 +46,8 @@ EXEMPLARS = (
     "Texte à compléter.", "Insérez ici le résumé du corpus.", "Texte provisoire à remplacer avant l'envoi.", "À remplir.",
     "نص مؤقت يُستبدل قبل الإرسال.", "أدخل وصف المجموعة في هذا المكان.", "Здесь будет описание корпуса.", "Введите описание набора данных в этом месте.", "Временный текст, замените его перед отправкой.", "Текст будет добавлен позже.",
     "ダミーテキストです。提出前に差し替えてください。", "ここに概要を入力してください。", "ここにデータセットの説明を入力してください。", "後で記入します。",
-    "first bullet", "item one", "point A", "undefined",
+    "first bullet", "item one", "point A", "undefined", "text missing", "content missing", "abstract missing", "no text yet", "text to follow",
+    "Contenu de remplissage, à remplacer avant l'envoi.", "Texte à venir.", "Здесь будет текст.", "Вставьте сюда описание корпуса.", "Вставьте сюда текст.", "يُكتب النص هنا لاحقًا.", "أدخل النص هنا.", "ここに本文を入力してください。", "説明文未記入", "本文未記入",
     # error pages and messages
     "Access denied You do not have permission to open on this server. Error reference", "Error code Bad Request Forbidden Not Found Unauthorized Internal Server Error Bad Gateway Service Unavailable Gateway Timeout Gone Try the following: check the address go back to the home page contact the desk of",
     "html head title Bad Gateway Forbidden Unauthorized Not Found Internal Server Error Service Unavailable Bad Request Gateway Timeout Too Many Requests Request Timeout Gone title head body h Bad Gateway Forbidden Unauthorized Not Found Internal Server Error Service Unavailable Bad Request h hr body html",
@@ -53,7 +55,7 @@ EXEMPLARS = (
     "error code message Bad Gateway Forbidden Unauthorized Not Found Internal Server Error Service Unavailable Bad Request Gateway Timeout Gone Too Many Requests request_id",
     "Upstream connect error or disconnect/reset before headers. reset reason: connection termination", "Upstream connect error or disconnect/reset before headers. reset reason: connection failure", "reset reason: connection timeout", "reset reason: overflow",
     "ERROR document conversion failed: no text layer", "document conversion failed: empty page tree", "document conversion failed: unsupported encryption", "document conversion failed: converter exited with status",
-    "Traceback (most recent call last): File line in pages = reader.open(path) ValueError: not a document KeyError: pages TimeoutError: no answer", "File extract.py, line in read_pdf", "Too many requests from this address. Retry after s.", "Rate limit exceeded. Retry after s.", "Quota exceeded. Retry after s.",
+    "Traceback (most recent call last): File line in pages = reader.open(path) ValueError: not a document KeyError: pages TimeoutError: no answer", "OSError: Errno input/output error", "FileNotFoundError: Errno No such file or directory", "File extract.py, line in read_pdf", "Too many requests from this address. Retry after s.", "Rate limit exceeded. Retry after s.", "Quota exceeded. Retry after s.",
     "The resource has been removed by its owner.", "There is nothing here.", "Document withdrawn - no content", "File not found.", "No such paper", "Unable to render this file. Download the raw file instead.", "The requested URL could not be served. at port",
     "The requested URL was not found on this server.", "is down for maintenance since We will be back shortly.", "Oops! that link seems to be broken. Reference", "Sorry, something went wrong on our side. Reference", "Sorry, the file is no longer available for download. Reference", "Sorry, we can't find the page you are looking for. Reference",
     "Uh-oh. We are sorry", "this paper has been moved or withdrawn.", "Erreur La page demandée est introuvable ou a été déplacée.", "Désolé, le document n'existe plus sur", "Service momentanément indisponible, réessayez plus tard.", "Ошибка. Страница не найдена.", "Сервер временно недоступен. Попробуйте позже.",
@@ -141,7 +143,7 @@ def _noise(passage: str) -> bool:
         return True
     if len(words) >= 4 and len(MASH.findall(" ".join(words))) >= 0.8 * len(words):
         return True
-    return len(words) >= 5 and len(set(words)) <= 2
+    return len(words) >= 5 and sum(n for _, n in Counter(words).most_common(2)) >= 0.8 * len(words)
 
 
 def residue(passage: str) -> bool:
