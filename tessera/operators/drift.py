@@ -48,7 +48,8 @@ NESTED = "Subsets"
 #: Fields that the elements of the nested list are known by.
 NESTED_KEYS = frozenset(("name", "volume", "unit", "dialect", "language"))
 
-PROFILE = "file_id long, field string, nested boolean, kinds map<string,long>, keys array<long>, whole array<long>, atoms array<array<long>>"
+#: The sketch of a field is packed: 64-bit hashes, and for each record the number of its atoms in 32 bits.
+PROFILE = "file_id long, field string, nested boolean, kind string, keys binary, whole binary, sizes binary, atoms binary"
 CHANGES = "file_id long, field string, change string"
 LINKS = "file_id long, prev_file_id long, nested boolean, field string, prev_field string, change string"
 
@@ -129,7 +130,7 @@ def _is_nested_list(name: str, value: object) -> bool:
 
 
 def profile(body: str | None, key_field: str = KEY_FIELD) -> list[tuple]:
-    """``(field, nested, kinds, keys, atoms)`` of every field of one body."""
+    """``(field, nested, kind, keys, whole, sizes, atoms)`` of every field of one body; the kind is the type of most of its values."""
     kinds: dict[tuple[str, bool], Counter] = defaultdict(Counter)
     kept: dict[tuple[str, bool], dict[int, set[str]]] = defaultdict(dict)
     sample: list[int] = []  # the largest of the kept key hashes first
@@ -177,7 +178,9 @@ def profile(body: str | None, key_field: str = KEY_FIELD) -> list[tuple]:
     for (name, inner), c in kinds.items():
         values = kept.get((name, inner), {})
         told = [sorted(map(_hash, a)) for a in values.values()]
-        out.append((name, inner, dict(c), list(values), [x[0] if len(x) == 1 else _hash(repr(x)) for x in told], told))
+        whole = [x[0] if len(x) == 1 else _hash(repr(x)) for x in told]
+        pack = lambda numbers, kind_: np.array(numbers, dtype=kind_).tobytes()
+        out.append((name, inner, main_kind(c), pack(list(values), "int64"), pack(whole, "int64"), pack(list(map(len, told)), "int32"), pack([h for x in told for h in x], "int64")))
     return out
 
 
@@ -187,7 +190,7 @@ def profiles(files: DataFrame, key_field: str = KEY_FIELD) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(file_id, *x) for file_id, body in zip(batch["file_id"], batch["body"]) for x in profile(body if isinstance(body, str) else None, key_field)]
-            yield pd.DataFrame(rows, columns=["file_id", "field", "nested", "kinds", "keys", "whole", "atoms"])
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PROFILE.split(", ")])
 
     return files.select("file_id", "body").mapInPandas(run, PROFILE)
 
@@ -201,12 +204,20 @@ def main_kind(kinds: dict[str, int]) -> str | None:
 class Values:
     """The sketch of one field: record keys, one hash for each record's whole value, and the hashes of its atoms."""
 
-    def __init__(self, keys, whole, told) -> None:
-        self.keys, self.whole, self.told = np.asarray(keys, dtype="int64"), np.asarray(whole, dtype="int64"), told
+    def __init__(self, keys: bytes, whole: bytes, sizes: bytes, told: bytes) -> None:
+        self.keys, self.whole, self.packed = np.frombuffer(keys, "int64"), np.frombuffer(whole, "int64"), (sizes, told)
+        self.sets: list[frozenset] | None = None
 
     def __len__(self) -> int:
         return len(self.keys)
 
+    def told(self, i: int) -> frozenset:
+        """The atoms of record ``i``, unpacked when first asked for."""
+        if self.sets is None:
+            cuts = np.cumsum(np.frombuffer(self.packed[0], "int32"))[:-1]
+            self.sets = [frozenset(x.tolist()) for x in np.split(np.frombuffer(self.packed[1], "int64"), cuts)]
+        return self.sets[i]
+
 
 def agreement(a: Values, b: Values, kind_a: str | None, kind_b: str | None) -> tuple[float, int]:
     """Mean likeness of two fields over the records both sketches hold, and their number.
@@ -221,7 +232,7 @@ def agreement(a: Values, b: Values, kind_a: str | None, kind_b: str | None) -> t
         return float((a.whole[at_a] == b.whole[at_b]).mean()), len(shared)
     total = 0.0
     for i, j in zip(at_a, at_b):
-        x, y = set(a.told[i]), set(b.told[j])
+        x, y = a.told(i), b.told(j)
         total += len(x & y) / min(len(x), len(y))
     return total / len(shared), len(shared)
 
@@ -304,22 +315,40 @@ def compare(old: list[tuple], new: list[tuple]) -> list[tuple[str | None, str |
     return [(x and x[0], y and y[0], x and x[1], y and y[1]) for x, y in pairs]
 
 
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
+def _between(key: tuple, part: list[tuple]) -> list[tuple]:
+    """The links of one pair of files, ``key`` being ``(target, prev_file_id, nested)``."""
+    sides: dict[bool, list[tuple]] = {True: [], False: []}
+    for current, field, kind_, *packed in part:
+        sides[bool(current)].append((field, kind_, Values(*packed)))
+    if not sides[False] or not sides[True]:
+        return []
     rows = []
-    for (file_id, prev, inner), part in pdf.groupby(["target", "prev_file_id", "nested"]):
-        sides: dict[bool, list[tuple]] = {True: [], False: []}
-        for current, field, kinds, keys, values in zip(part["current"], part["field"], part["kinds"], zip(part["keys"], part["whole"]), part["atoms"]):
-            sides[bool(current)].append((field, main_kind(dict(kinds)), Values(*keys, values)))
-        if not sides[False] or not sides[True]:
-            continue
-        for a, b, kind_a, kind_b in compare(sides[False], sides[True]):
-            if a is None:
-                changes = ["added"]
-            elif b is None:
-                changes = ["removed"]
-            else:
-                changes = ["renamed"] * (a != b) + ["retyped"] * (None not in (kind_a, kind_b) and kind_a != kind_b) or ["same"]
-            rows += ((file_id, prev, inner, b, a, c) for c in changes)
+    for a, b, kind_a, kind_b in compare(sides[False], sides[True]):
+        if a is None:
+            found = ["added"]
+        elif b is None:
+            found = ["removed"]
+        else:
+            found = ["renamed"] * (a != b) + ["retyped"] * (None not in (kind_a, kind_b) and kind_a != kind_b) or ["same"]
+        rows += ((*key, b, a, c) for c in found)
+    return rows
+
+
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of all pairs of files of a partition, whose rows come sorted by pair: one stream, without a call for each pair."""
+    key, part = None, []
+    for batch in batches:
+        rows: list[tuple] = []
+        for row in zip(*(batch[c] for c in ("target", "prev_file_id", "nested", "current", "field", "kind", "keys", "whole", "sizes", "atoms"))):
+            if row[:3] != key:
+                rows += _between(key, part) if part else []
+                key, part = row[:3], []
+            part.append(row[3:])
+        yield _as_links(rows)
+    yield _as_links(_between(key, part) if part else [])
+
+
+def _as_links(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["file_id", "prev_file_id", "nested", "field", "prev_field", "change"])
 
 
@@ -352,7 +381,8 @@ def links(files: DataFrame, key_field: str = KEY_FIELD) -> DataFrame:
         steps.select(F.col("prev_file_id").alias("of"), "nested", F.lit(False).alias("current"), F.col("file_id").alias("target"), "prev_file_id")
     )
     sides = prof.withColumnRenamed("file_id", "of").join(roles, ["of", "nested"])
-    return sides.groupBy("target").applyInPandas(_group, LINKS)
+    together = sides.repartition(F.col("target")).sortWithinPartitions("target", "nested", "prev_file_id")
+    return together.mapInPandas(_pairs, LINKS)
 
 
 def reported_name(nested: Column, name: Column) -> Column:
