@@ -6,8 +6,9 @@ that differ by case, accents, order, titles, footnotes or transliteration. Equal
 forms are one record from the start. Then rounds of blocking, merging and
 rematching follow:
 
-* every form enters the blocks of its skeleton with up to two letters left out, and
-  the blocks of the papers it stands on;
+* every form enters the blocks of its skeleton with up to two letters left out (a
+  skeleton of over ``LONGEST`` letters those of its ends and its middle, of which two
+  slips leave one whole), and the blocks of the papers it stands on;
 * in each block it is compared with every other form of the block, once, by the
   built-in ``levenshtein``; so a block with many forms costs their number squared;
 * matched records merge, the poorer into the nearest richer: the union of their forms,
@@ -27,8 +28,7 @@ Defined results of the edge cases: null and blank strings are left out, also ins
 lists; repeated records and strings count once; strings are compared exactly as
 typed, so two that differ only in white space are a pair; strings without any Latin
 letter are equal only to themselves up to case and white space; empty tables give no
-pairs; texts may be of any length, but the own name of over ``LONGEST`` letters is
-blocked whole.
+pairs; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tessera.llm import names
 from tessera.session import cut_lineage
 
-LEXICON, LONGEST = 500, 24
+LEXICON, LONGEST, PART = 500, 24, 8
 PARSED = "kind string, name string, n long, grp string, initial string, sk string"
 
 
@@ -98,11 +98,19 @@ def _without_one(word: Column) -> Column:
 
 
 def block_keys(sk: Column) -> Column:
-    """``sk`` with none, one or two letters left out; longer own names only whole."""
+    """Keys of which two skeletons within two edits share one: ``sk`` with none, one or two letters left out, or, of long ones, its parts.
+
+    Two edits leave the first ``PART`` letters whole, or the last, or the next to the first, which then stand at most one place off.
+    Skeletons near the border have both kinds of keys.
+    """
     ones = _without_one(sk)
     twos = F.when(F.length(sk) >= 8, F.flatten(F.transform(ones, _without_one))).otherwise(F.array().cast("array<string>"))
     near = F.array_distinct(F.concat(F.array(sk), ones, twos))
-    return F.when((F.length(sk) < 5) | (F.length(sk) > LONGEST), F.array(sk)).otherwise(near)
+    whole = F.when((F.length(sk) < 5) | (F.length(sk) > LONGEST), F.array(sk)).otherwise(near)
+    ends = [F.concat(F.lit("<"), F.left(sk, F.lit(PART))), F.concat(F.lit(">"), F.right(sk, F.lit(PART)))]
+    middle = [F.concat(F.lit("="), F.substring(sk, PART + 1 + off, PART)) for off in (-1, 0, 1)]
+    parts = F.when(F.length(sk) > LONGEST - 2, F.array(*ends, *middle)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(whole, parts))
 
 
 def _letters(c: Column) -> Column:

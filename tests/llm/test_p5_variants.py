@@ -19,3 +19,27 @@ def test_spellings_beside_a_richer_name(spark):
     rows = [("p1", ([], [a, b, rich], []))] + [(f"q{i}", ([], [rich], [])) for i in range(5)]
     found = {tuple(r) for r in variants.links(spark.createDataFrame(rows, schema)).collect()}
     assert found == {("organisation", a, b)}
+
+
+def test_long_names_within_two_edits_share_a_block(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from tessera.llm import variants
+
+    rng, rows = random.Random(1), []
+    for i in range(400):
+        a = b = "".join(rng.choices("abcdefghij", k=rng.randrange(20, 45)))
+        for _ in range(2):
+            at, kind = rng.randrange(len(b)), rng.randrange(3)
+            b = b[:at] + ("" if kind == 0 else rng.choice("abcdefghij")) + b[at + (kind != 1) :]
+        rows.append((i, a, b))
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    assert df.where(F.arrays_overlap(variants.block_keys(F.col("a")), variants.block_keys(F.col("b")))).count() == len(rows)
+
+
+def test_empty(spark):
+    from tessera.llm import variants
+
+    schema = "paper_id string, metadata struct<Authors: array<string>, Affiliations: array<string>, Provider: array<string>>"
+    assert variants.links(spark.createDataFrame([(None, None), ("p", ([], None, [None, " "]))], schema)).count() == 0
