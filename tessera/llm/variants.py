@@ -113,6 +113,17 @@ def block_keys(sk: Column) -> Column:
     return F.array_distinct(F.concat(whole, parts))
 
 
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a`` by ``b`` on block keys. A skeleton has up to hundreds of keys, which the planner's sizes leave out, so neither side is sent through the driver."""
+    return a.hint("merge").join(b.hint("merge"), "key")
+
+
+def candidates(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """``(f, a, b, c)``: forms with initials only ``(f, initial, sk)`` and the records ``(initial, sk, c)`` that share a block with them."""
+    keyed = lambda df, *cols: df.select(*cols, F.explode(F.transform(block_keys(F.col("sk")), lambda k: F.xxhash64("initial", k))).alias("key"))
+    return _met(keyed(wanted, "f", F.col("sk").alias("a")), keyed(records, F.col("sk").alias("b"), "c")).select("f", "a", "b", "c").distinct()
+
+
 def _letters(c: Column) -> Column:
     return F.array_sort(F.split(c, ""))
 
@@ -154,7 +165,7 @@ def resolve_full(forms: DataFrame, form_papers: DataFrame) -> DataFrame:
     both = near.unionByName(paper)
     # a block of one form can match nothing, now or later
     shared = both.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    blocks = cut_lineage(both.join(shared, "key"))
+    blocks = cut_lineage(_met(both, shared))
     members = cut_lineage(forms.select("f", "n", F.col("f").alias("c")))
     # every two forms of a block that are near enough to be one name at some weight; which merge is told by the weights of each round
     a, b = blocks.select("key", "on_paper", F.col("f").alias("fa"), F.col("sk").alias("ska")), blocks.select("key", F.col("f").alias("fb"), F.col("sk").alias("skb"))
@@ -189,9 +200,7 @@ def memberships(gold: DataFrame) -> DataFrame:
 
     # initials: every full name with that surname (or one close to it) and initial
     entity_forms = full.where("kind = 'person'").select("f", "initial", "sk").distinct().join(records, "f").select("initial", "sk", "c").distinct()
-    keyed = lambda df, *cols: df.select(*cols, F.explode(F.transform(block_keys(F.col("sk")), lambda k: F.xxhash64("initial", k))).alias("key"))
-    wanted = short.select("f", "initial", "sk").distinct()
-    found = keyed(wanted, "f", F.col("sk").alias("a")).join(keyed(entity_forms, F.col("sk").alias("b"), "c"), "key").select("f", "a", "b", "c").distinct()
+    found = candidates(short.select("f", "initial", "sk").distinct(), entity_forms)
     d, least = F.levenshtein("a", "b"), F.least(F.length("a"), F.length("b"))
     ranked = found.where((d <= F.when(least >= 8, 2).when(least >= 5, 1).otherwise(0)) | ((d <= 4) & (least >= 8) & (_letters(F.col("a")) == _letters(F.col("b"))))).groupBy("f", "c").agg(F.min(d).alias("d"))
     ranked = cut_lineage(ranked)

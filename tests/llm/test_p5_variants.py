@@ -38,6 +38,16 @@ def test_long_names_within_two_edits_share_a_block(spark):
     assert df.where(F.arrays_overlap(variants.block_keys(F.col("a")), variants.block_keys(F.col("b")))).count() == len(rows)
 
 
+def test_block_keys_are_not_broadcast(spark):
+    from tessera.llm import variants
+
+    wanted = spark.createDataFrame([(1, "m", "velaskues"), (2, "k", "velaskues")], "f long, initial string, sk string")
+    records = spark.createDataFrame([("m", "velaskuez", 7), ("m", "korander", 8)], "initial string, sk string, c long")
+    found = variants.candidates(wanted, records)
+    assert [tuple(r) for r in found.collect()] == [(1, "velaskues", "velaskuez", 7)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty(spark):
     from tessera.llm import variants
 
