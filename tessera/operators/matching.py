@@ -7,12 +7,14 @@ tables whose size doesn't grow with the data, and says so.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import text as T
-from tessera.functions.similarity import ratio_udf
+from tessera.functions.similarity import first_alike
+from tessera.session import cut_lineage
 
 
 def split_ids(papers: DataFrame, split: str, schemata: tuple[str, ...] = schemas.SCHEMATA) -> DataFrame:
@@ -60,37 +62,81 @@ def link_contains(ids: DataFrame, links: DataFrame, paper_id: str = "paper_id",
     return cut.join(made, "_run").where(F.contains(F.col(link), F.col(paper_id))).drop("_run")
 
 
-#: Two similar titles are taken to have this share of the longer one's words in common.
-SHARED_WORDS = 0.4
+#: Texts and options that meet in one task at most, and the first tier of options and how much larger each tier is than the last.
+TEXTS, OPTIONS, TIER, GROWTH = 2000, 2048, 1024, 8
 
 
-def similar_candidates(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 0.8, shared: float = SHARED_WORDS) -> DataFrame:
-    """Pairs of texts whose similarity may exceed ``threshold``: ``left`` by ``right`` where they share a rare word and edits allow it.
+def similar_candidates(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 0.8) -> DataFrame:
+    """All pairs of texts whose similarity may exceed ``threshold``, which takes fewer than ``(1 - t) (|a| + |b|)`` edits. It compares each text with each."""
+    size = F.length(a) + F.length(b)
+    close = (2 * F.least(F.length(a), F.length(b)) > threshold * size) & (F.levenshtein(a, b) < (1 - threshold) * size)
+    return left.crossJoin(right).where(close)
 
-    Each text is looked up by its rarest words only, as many as leave no room for ``shared`` of its words among the others
-    (a prefix filter), so words that stand in most texts join nothing. Similarity over ``t`` needs fewer than
-    ``(1 - t) (|a| + |b|)`` edits, which the built-in ``levenshtein`` checks before Python sees a pair.
-    """
-    words = lambda df, c: df.select(F.col(c).alias("_t")).distinct().select("_t", F.explode(F.array_distinct(F.filter(F.split(F.lower("_t"), r"\W+"), lambda w: w != ""))).alias("_w"))
-    x, y = words(left, a), words(right, b)
-    often = x.unionByName(y).groupBy("_w").agg(F.count("*").alias("_f"))
 
-    def rare(df: DataFrame, name: str) -> DataFrame:
-        per = Window.partitionBy("_t")
-        ranked = df.join(often, "_w").withColumns({"_r": F.row_number().over(per.orderBy("_f", "_w")), "_n": F.count("*").over(per)})
-        return ranked.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * shared) + 1).select("_w", F.col("_t").alias(name))
+def _bands(length: Column, step: float, around: bool) -> Column:
+    """The band of a text by its length, and those of the lengths that may be similar to it; ``step`` is the most that these may differ by."""
+    place = F.log(step, F.greatest(length, F.lit(1)))
+    if not around:
+        return F.when(length == 0, -1).otherwise(F.floor(place).cast("int"))
+    return F.when(length == 0, F.array(F.lit(-1))).otherwise(F.sequence(F.greatest(F.floor(place - 1 - 1e-9), F.lit(0)).cast("int"), F.floor(place + 1 + 1e-9).cast("int")))
 
-    pairs = rare(x, a).join(rare(y, b), "_w").select(a, b)
-    size = F.length(a) + F.length(b)
-    close = (2 * F.least(F.length(a), F.length(b)) > threshold * size) & (F.levenshtein(a, b) < (1 - threshold) * size)
-    return pairs.where(close).distinct().join(left, a).join(right, b)
+
+def first_similar(texts: DataFrame, options: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``(text, place)``: for each ``(text)`` the least ``place`` of the options ``(place, option)`` with a similarity over ``threshold``; texts without one are left out.
+
+    Options come in tiers, the first places before the others, and a text that has an option in one tier meets none of the
+    next, so the work follows how far down its option is. Texts without any meet all options of a length that allows it.
+    """
+    spark, step = texts.sparkSession, (2 - threshold) / threshold
+    options = cut_lineage(options.where("option IS NOT NULL").groupBy("option").agg(F.min("place").alias("place")))
+    waiting = cut_lineage(texts.where("text IS NOT NULL").select("text").distinct())
+    n_options, n_waiting, found, tier, upto = options.count(), waiting.count(), [], TIER, TIER
+    shares = []
+    while upto < n_options:
+        shares.append(upto / n_options)
+        tier *= GROWTH
+        upto += tier
+    # where a tier ends may be any place, so the quantiles need not be exact
+    ends = options.agg(F.percentile_approx("place", F.array(*map(F.lit, shares)), F.lit(1_000_000))).head()[0] if shares else []
+    low = None
+
+    def run(_: tuple, asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
+        offered = offered.sort_values("place")
+        at = first_alike(asked["text"].tolist(), offered["option"].tolist(), threshold)
+        return pd.DataFrame({"text": asked["text"].to_numpy()[at >= 0], "place": offered["place"].to_numpy()[at[at >= 0]]})
+
+    for high in [*ends, None]:
+        if not n_waiting:
+            break
+        part = options if low is None else options.where(F.col("place") > low)
+        part = part if high is None else part.where(F.col("place") <= high)
+        low, n_part = high, part.count()
+        if not n_part:
+            continue
+        rows, columns = -(-n_waiting // TEXTS), -(-n_part // OPTIONS)
+        one, every = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        cells = ["row", "column", "band"]
+        asked = waiting.select("text", one("text", rows, 1).alias("row"), _bands(F.length("text"), step, False).alias("band")).select("*", every(columns).alias("column"))
+        offered = part.select("place", "option", one("option", columns, 2).alias("column"), F.explode(_bands(F.length("option"), step, True)).alias("band")).select("*", every(rows).alias("row"))
+        # so many tasks as there are cells: the cells are small, but not the work in them
+        tasks = max(3 * rows * columns, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        side = lambda df: df.repartition(tasks, *cells).groupBy(*cells)
+        met = side(asked).cogroup(side(offered)).applyInPandas(run, f"text string, place {dict(options.dtypes)['place']}")
+        hits = cut_lineage(met.groupBy("text").agg(F.min("place").alias("place")))
+        found.append(hits)
+        waiting = cut_lineage(waiting.join(hits, "text", "left_anti"))
+        n_waiting = waiting.count()
+    out = spark.createDataFrame([], f"text string, place {dict(options.dtypes)['place']}")
+    for hits in found:
+        out = out.unionByName(hits)
+    return out
 
 
 def match_record(queries: DataFrame, dataset: DataFrame, key: str = "query_id", threshold: float = 0.8, last: bool = True, fuzzy: bool = True) -> DataFrame:
     """For each query ``(key, title, link, record_title)`` the record of ``dataset`` ``(ordinal, title, link)`` it means: ``(key, ordinal, how)``.
 
     A query with a title is matched by equality of titles only, else one with a link by equality with the normalised
-    link, else by similarity of ``record_title`` over ``threshold`` among :func:`similar_candidates`. Of several, the last
+    link, else by similarity of ``record_title`` over ``threshold``. Of several, the last
     ordinal wins (``last``), or the first. Queries without a match are left out.
     """
     given = F.coalesce(F.col("title"), F.lit("")) != ""
@@ -99,9 +145,11 @@ def match_record(queries: DataFrame, dataset: DataFrame, key: str = "query_id",
     found = queries.where(given).join(gold, F.col("title") == F.col("g_title")).select(key, "ordinal", F.lit("title").alias("how"))
     found = found.unionByName(queries.where(linked).join(gold, F.col("link") == F.col("g_link")).select(key, "ordinal", F.lit("link").alias("how")))
     if fuzzy:
-        left, right = queries.where(~given & ~linked).select(key, "record_title"), gold.select("ordinal", "g_title")
-        near = similar_candidates(left, right, "record_title", "g_title", threshold).select(key, "ordinal", "record_title", "g_title")
-        found = found.unionByName(near.withColumn("_r", ratio_udf("record_title", "g_title")).where(F.col("_r") > threshold).select(key, "ordinal", F.lit("similar").alias("how")))
+        asked = queries.where(~given & ~linked).select(key, "record_title")
+        place = -F.col("ordinal") if last else F.col("ordinal")
+        near = first_similar(asked.select(F.col("record_title").alias("text")), gold.select(place.alias("place"), F.col("g_title").alias("option")), threshold)
+        near = near.select(F.col("text").alias("record_title"), (-F.col("place") if last else F.col("place")).alias("ordinal"))
+        found = found.unionByName(asked.join(near, "record_title").select(key, "ordinal", F.lit("similar").alias("how")))
     pick = F.max_by if last else F.min_by
     return found.groupBy(key).agg(pick(F.struct("ordinal", "how"), F.col("ordinal")).alias("m")).select(key, "m.ordinal", "m.how")
 

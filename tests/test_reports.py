@@ -68,6 +68,48 @@ def test_similar_candidates_against_all_pairs(spark):
     assert len(want & found) >= 0.9 * len(want) and len(want) >= 20
 
 
+def test_similar_titles_without_a_common_word(spark):
+    data = spark.createDataFrame([(0, "Arabicdialectcorpora", ""), (1, "Building Mirivox", ""), (2, "", ""), (3, None, "")], "ordinal int, title string, link string")
+    queries = spark.createDataFrame([(1, "", "", "Arabicdialectcorpus"), (2, "", "", "BuildingMirivox"), (3, "", "", ""), (4, "", "", "none"), (5, "", "", None)], "query_id int, title string, link string, record_title string")
+    for last in (True, False):
+        assert {r.query_id: r.ordinal for r in matching.match_record(queries, data, last=last).collect()} == {1: 0, 2: 1, 3: 2}
+
+
+def test_similar_titles_against_all_pairs(spark, monkeypatch):
+    from tessera.functions.similarity import ratio
+
+    monkeypatch.setattr(matching, "TIER", 30)
+    monkeypatch.setattr(matching, "GROWTH", 2)
+    monkeypatch.setattr(matching, "TEXTS", 40)
+    monkeypatch.setattr(matching, "OPTIONS", 25)
+    rng, words = random.Random(6), ["news", "corpus", "arabic", "dialect", "speech", "treebank", "noisy"]
+    made = lambda n: sorted({"".join(rng.choices(words, k=rng.randrange(1, 7))) + "".join(rng.choices("xyz", k=3)) for _ in range(n)})
+    asked, titles = made(120), made(150)
+    rng.shuffle(titles)
+    data = spark.createDataFrame([(i, t, "") for i, t in enumerate(titles)], "ordinal int, title string, link string")
+    queries = spark.createDataFrame([(t, "", "", t) for t in asked], "query_id string, title string, link string, record_title string")
+    for last in (True, False):
+        want = {a: (max if last else min)(k) for a in asked if (k := [i for i, t in enumerate(titles) if ratio(a, t) > 0.8])}
+        assert {r.query_id: r.ordinal for r in matching.match_record(queries, data, last=last).collect()} == want and 20 < len(want) < len(asked)
+
+
+def test_first_alike_compares_few_pairs(monkeypatch):
+    from tessera.functions import similarity
+
+    rng, ran = random.Random(7), []
+    titles = [f"{''.join(rng.choices('aeioulmnrst', k=8))}: A {rng.choice(['noisy', 'parallel', 'diachronic'])} {rng.choice(['speech', 'dialect', 'topic'])} dataset" for _ in range(300)]
+
+    class Counted(similarity.SequenceMatcher):
+        def ratio(self):
+            ran.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(similarity, "SequenceMatcher", Counted)
+    found = similarity.first_alike(titles, titles[::-1], 0.8)
+    # of 90,000 pairs, few are compared by blocks
+    assert (found >= 0).all() and len(ran) < 3000
+
+
 def test_link_contains(spark):
     ids = spark.createDataFrame([("2401.1",), ("2401.12",)], "paper_id string")
     links = spark.createDataFrame([("https://x/2401.12v1",), (None,), ("none",)], "link string")
